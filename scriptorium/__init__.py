@@ -1,0 +1 @@
+"""Checks and health measures for corpora of semi-structured documents, as Spark plans."""
