@@ -49,7 +49,7 @@ def link_path(raw: Column) -> Column:
 
 
 def resolve_path(folder: Column, target: Column) -> Column:
-    """target from folder with . and .. taken away; a leading slash means the root. Null where it leaves the root."""
+    """target from folder with . and .. taken away; a leading slash means the root. Null where it leaves the root, or is null."""
     joined = F.when(target.startswith("/"), target).otherwise(F.concat_ws("/", folder, target))
     parts = F.filter(F.split(joined, "/"), lambda p: (p != "") & (p != "."))
     start = F.struct(F.array().cast("array<string>").alias("p"), F.lit(False).alias("out"))
@@ -62,7 +62,7 @@ def resolve_path(folder: Column, target: Column) -> Column:
         )
 
     done = F.aggregate(parts, start, step)
-    return F.when(~done["out"], F.array_join(done["p"], "/"))
+    return F.when(target.isNotNull() & ~done["out"], F.array_join(done["p"], "/"))
 
 
 def folder_of(path: Column) -> Column:

@@ -165,7 +165,8 @@ def plan(docs: DataFrame, weights=(1, 2, 3), most: int = 3, block: int = 128, sh
 
     tasks = max(1, min(n_shards, 4 * common.shuffle_width(spark)))
     drawn = spark.range(0, n_shards, 1, tasks).mapInPandas(draw, "s int, index long, pass int, take long, shard long")
-    joined = rows.join(drawn, ["s", "index"], "left")
+    # Spark takes a Python stage's output to be as small as its input, here a range; the slots grow with the corpus
+    joined = rows.join(drawn.hint("merge"), ["s", "index"], "left")
     offset = F.col("index") * block
     begin = F.greatest(F.col("start"), offset)
     end = F.least(F.col("start") + F.col("size"), offset + F.col("take"))

@@ -13,6 +13,7 @@ from copy import deepcopy
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text
 from ..functions.values import Fields
@@ -114,7 +115,7 @@ def global_schema_drift(drift: DataFrame) -> DataFrame:
 # --- vocabulary ----------------------------------------------------------------------------------------------------
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_term(terms: pd.Series) -> pd.Series:
     """NFKC, lower case. Applied to distinct terms only."""
     return terms.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).lower())
@@ -196,6 +197,7 @@ def fuzzy_pairs(terms: DataFrame, threshold: float, column: str = "term") -> Dat
 def fuzzy_groups(uses: DataFrame, pairs: DataFrame) -> DataFrame:
     """Greedy complete-linkage groups within each connected set of pairs: canonical_hint, members, max_pairwise_distance.
     Sequential by nature, so it runs per connected set, on pairs alone (the terms of a set that are near each other)."""
+    pairs = pairs.persist()
     roots = _components(pairs)
     labelled = pairs.join(roots, pairs["term_a"] == roots["term"]).select("root", "term_a", "term_b", "distance")
     counts = uses.groupBy("term").agg(F.sum("uses").alias("uses"))

@@ -35,7 +35,8 @@ def diagram_problems(text: str) -> list[tuple[int, str]]:
         bare = re.sub(r'"[^"]*"', "", s)
         if '"' in bare:
             return [(i, "a quote stays open")]
-        if any(bare.count(a) != bare.count(b) for a, b in ("[]", "{}", "()")) and not re.search(r"[>/\\]", bare):
+        shapes = re.sub(r"[-=.]+>|[<>]", "", bare)
+        if any(shapes.count(a) != shapes.count(b) for a, b in ("[]", "{}", "()")) and not re.search(r"[/\\]", shapes):
             return [(i, "a bracket stays open")]
         if re.search(r"(?:-->|---|-\.->|==>)\s*$", bare):
             return [(i, "an edge leads nowhere")]
