@@ -8,7 +8,9 @@ the size it measured is under its threshold), and makes several passes agree on
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,3 +74,12 @@ def crc_of_id(column: str = "doc_id"):
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets the driver's JVM collect its garbage, upon which Spark's cleaner deletes the shuffle files of plans that
+    nothing refers to any more; else they stay on the executors' disks until the driver happens to collect."""
+    for _ in range(2):  # what the first round frees lets the second see the rest
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
