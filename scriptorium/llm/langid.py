@@ -65,10 +65,10 @@ def characters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return out, first, np.diff(np.append(alpha[first], alpha[-1]))
 
 
-def gram_keys(cp: np.ndarray, order: int) -> np.ndarray:
-    """Hash of the n-gram that ends at each position from ORDER - 1 on."""
+def gram_keys(cp: np.ndarray, order: int, before: int = 0) -> np.ndarray:
+    """Hash of the n-gram that ends at, or so many places before, each position from ORDER - 1 on."""
     h = np.full(len(cp) - ORDER + 1, order, np.uint64)
-    for k in range(order - 1, -1, -1):
+    for k in range(order - 1 + before, before - 1, -1):
         h = h * np.uint64(0x9E3779B97F4A7C15) + cp[ORDER - 1 - k : len(cp) - k].astype(np.uint64) + np.uint64(1)
     return kernels.mix64(h)
 
@@ -98,8 +98,7 @@ class Model:
             if not len(todo):
                 break
             if order > 1:
-                # hashes of contexts are those of the n-gram of one order less, one position before
-                ctx = gram_keys(cp, order - 1)[np.maximum(todo - 1, 0)] if n else todo
+                ctx = gram_keys(cp, order - 1, 1)[todo]
                 at = np.searchsorted(self.context[order - 2], ctx)
                 hit = self.context[order - 2][at] == ctx
                 out[todo[hit]] += self.back[order - 2][at[hit]]
