@@ -28,7 +28,7 @@ from . import common
 
 SLACK = 2
 GROUP = 200_000
-CACHE = 400_000
+CACHE = 600_000
 _encoders: dict[str, Encoder] = {}
 
 
@@ -72,7 +72,10 @@ class _Units(dict):
         if "\n" in unit:
             head, *lines = unit.split("\n")
             return self[head] + b"".join(self.encoder.newline + self.encoder.first[x] for x in lines)
-        found = self.encoder.encode(self.lead + unit)
+        if unit[-1:] in (".", ",") and unit[:-1].isalpha():
+            found = self[unit[:-1]] + self.encoder.first[unit[-1]]  # letters and punctuation never share a token
+        else:
+            found = self.encoder.encode(self.lead + unit)
         if len(unit) <= 64:
             if len(self) >= CACHE:
                 self.clear()
