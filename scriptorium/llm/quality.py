@@ -3,10 +3,10 @@
 Two layers. The fixed base rule fails a text of fewer than ``min_words`` words, or one of whose words
 more than ``max_repeat_percent`` per cent lie in windows of ``window`` words that occur twice or more.
 The adaptive layer replaces further fixed cut-offs: for each (lang, source) group and each measure a
-quantile sketch gives an upper fence, and a text beyond its own group's fence is rejected.
+quantile sketch gives an upper fence from median and upper quartile, and a text beyond its own group's fence is rejected.
 
 The sketch is a log-bucketed histogram (relative error ``ACCURACY``): bucket counts add up, so merging
-is a sum, exact in any order, and reruns agree. A group has at most a few hundred buckets a measure, so
+is a sum, exact in any order, and reruns agree. A group has at most a few thousand buckets a measure, so
 pre-aggregated counts are all that is shuffled, however large a group is.
 
 Rows in which a column is null: a null text has no words and fails; null lang or source form groups of
@@ -27,7 +27,11 @@ from . import common, kernels
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MEASURES = ["mean_word", "symbols", "dup_lines", "repeats"]
-ACCURACY = 0.01
+ACCURACY = 0.001  # spreads are differences of near values, which a coarser sketch would blur
+REACH = 8.0
+PRIOR = 50  # texts
+#: Least spread of a measure, in its own unit.
+LEAST = {"mean_word": 0.05, "symbols": 0.01, "dup_lines": 0.04, "repeats": 0.03}
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -116,32 +120,48 @@ def _ratio(name: str):
     }[name]
 
 
-def fences(measured: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, reach: float = 4.0, least: dict[str, float] | None = None) -> DataFrame:
-    """Upper fence of each measure per (lang, source), from the sketches of the texts that pass the base rule.
+def fences(measured: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, reach: float = REACH, least: dict[str, float] | None = None) -> DataFrame:
+    """Upper fence of each measure per (lang, source), from the sketches of the texts that pass the base rule: the
+    median plus ``reach`` times the spread, which is the distance from the median to the upper quartile.
 
-    The fence is the 95 % quantile plus ``reach`` times its distance from the median, and at least the
-    floor in ``least``, so that a group whose texts are all alike does not reject its own ordinary texts.
+    Junk moves these two little as long as it is under a quarter of a group. A group whose median lies beyond the fence of
+    its language is mostly junk and takes the language's median and spread; every other group's are drawn to the
+    language's with the weight of ``PRIOR`` texts, and its spread is at most twice that of the language, whose own
+    spread is drawn to the corpus's likewise (not its median: languages differ in the length of words). A spread is at least
+    ``least``, so that groups whose texts are all alike keep what differs by a hair.
     """
-    least = least or {"mean_word": 20.0, "symbols": 0.5, "dup_lines": 0.5, "repeats": 0.3}
+    least = LEAST if least is None else least
     gamma = math.log((1 + ACCURACY) / (1 - ACCURACY))
     passed = measured.where((F.col("n_words") >= min_words) & (100 * F.col("n_repeat_words") <= max_repeat_percent * F.col("n_words")))
     long = passed.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), _ratio(k).alias("v")) for k in MEASURES))).alias("m"))
     bucket = F.when(F.col("m.v") <= 1e-6, F.lit(-(10**6))).otherwise(F.ceil(F.log(F.col("m.v")) / gamma).cast("int"))
-    sketch = long.groupBy("lang", "source", F.col("m.k").alias("k"), bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    # a group's sketch is bounded by its number of buckets
-    merged = sketch.groupBy("lang", "source", "k").agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("s"))
+    sketch = common.staged(long.groupBy("lang", "source", F.col("m.k").alias("k"), bucket.alias("bucket")).agg(F.count("*").alias("n")), "sketch")
 
     def quantile(q: float):
-        total = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-        need = F.ceil(F.lit(q) * total)
+        need = F.ceil(F.lit(q) * F.col("total"))
         hit = F.aggregate(
             "s", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("at")),
             lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.when(a["at"].isNull() & (a["seen"] + x["n"] >= need), x["bucket"]).otherwise(a["at"]).alias("at")),
         )["at"]
         return F.when(hit == -(10**6), F.lit(0.0)).otherwise(F.exp(hit * F.lit(gamma)) * (1 - ACCURACY))
 
-    floor = F.coalesce(*(F.when(F.col("k") == k, F.lit(v)) for k, v in least.items()))
-    rows = merged.select("lang", "source", "k", F.greatest(floor, quantile(0.95) + reach * (quantile(0.95) - quantile(0.5))).alias("fence"))
+    def level(name: str, *keys: str) -> DataFrame:
+        """Texts, median and spread at this level; sketches merge by adding up, and one is bounded by its number of buckets."""
+        counts = sketch.groupBy(*keys, "k", "bucket").agg(F.sum("n").alias("n"))
+        merged = counts.groupBy(*keys, "k").agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("s"), F.sum("n").alias("total"))
+        return merged.select(*(F.col(c).alias(f"{name}_{c}") for c in (*keys, "k")), F.col("total").alias(f"{name}_n"), quantile(0.5).alias(f"{name}_mid"), (quantile(0.75) - quantile(0.5)).alias(f"{name}_spread"))
+
+    def drawn(own: str, to: str, n: str):
+        return (F.col(n) * F.col(own) + PRIOR * F.col(to)) / (F.col(n) + PRIOR)
+
+    corpus, langs, groups = level("c"), level("l", "lang"), level("g", "lang", "source")
+    floor = lambda k: F.coalesce(*(F.when(F.col(k) == m, F.lit(v)) for m, v in least.items()))
+    langs = langs.join(corpus, F.col("l_k") == F.col("c_k")).select("l_lang", "l_k", "l_mid", F.greatest(floor("l_k"), drawn("l_spread", "c_spread", "l_n")).alias("l_spread"))
+    rows = groups.join(langs, F.col("g_lang").eqNullSafe(F.col("l_lang")) & (F.col("g_k") == F.col("l_k")))
+    junk = F.col("g_mid") > F.col("l_mid") + reach * F.col("l_spread")
+    mid = F.when(junk, F.col("l_mid")).otherwise(drawn("g_mid", "l_mid", "g_n"))
+    spread = F.when(junk, F.col("l_spread")).otherwise(F.greatest(floor("g_k"), F.least(drawn("g_spread", "l_spread", "g_n"), 2 * F.col("l_spread"))))
+    rows = rows.select(F.col("g_lang").alias("lang"), F.col("g_source").alias("source"), F.col("g_k").alias("k"), (mid + reach * spread).alias("fence"))
     return rows.groupBy("lang", "source").pivot("k", MEASURES).agg(F.first("fence"))
 
 

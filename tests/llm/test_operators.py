@@ -69,6 +69,63 @@ def test_quality(docs, fixture_rows):
     assert kept.count() == sum(r["kept"] for r in quality.verdicts(docs).collect())
 
 
+def brute_kept(rows):
+    """Verdicts of rows (doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words), with exact quantiles."""
+    value = {"mean_word": lambda r: r[4] / r[3], "symbols": lambda r: r[5] / r[3], "dup_lines": lambda r: r[6] / max(r[7], 1), "repeats": lambda r: r[8] / r[3]}
+    passed = [r for r in rows if r[3] >= 20 and 100 * r[8] <= 30 * r[3]]
+    kept = {r[0] for r in passed}
+    near = set()
+
+    def level(some, f):
+        x = sorted(map(f, some))
+        at = lambda q: x[math.ceil(q * len(x)) - 1]
+        return len(x), at(0.5), at(0.75) - at(0.5)
+
+    for k, f in value.items():
+        _, _, wide = level(passed, f)
+        for lang in {r[1] for r in passed}:
+            own = [r for r in passed if r[1] == lang]
+            n, mid, spread = level(own, f)
+            spread = max(quality.LEAST[k], (n * spread + 50 * wide) / (n + 50))
+            for source in {r[2] for r in own}:
+                group = [r for r in own if r[2] == source]
+                m, a, b = level(group, f)
+                if a > mid + 8 * spread:
+                    fence = mid + 8 * spread
+                else:
+                    b = max(quality.LEAST[k], min((m * b + 50 * spread) / (m + 50), 2 * spread))
+                    fence = (m * a + 50 * mid) / (m + 50) + 8 * b
+                kept -= {r[0] for r in group if f(r) > fence}
+                near |= {r[0] for r in group if abs(f(r) - fence) <= 0.003 * fence + 8 * 0.002 * (a + b)}
+    return kept, near
+
+
+def test_quality_kept_against_brute_force_and_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    names = ["doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
+    rows = [tuple(r) for r in quality.measure(table).select(*names).collect()]
+    kept = {r["doc_id"] for r in quality.verdicts(table).where("kept").collect()}
+    want, near = brute_kept(rows)
+    assert kept ^ want <= near and len(near) < 0.1 * len(rows)  # the sketch is exact up to its accuracy
+    assert {r["doc_id"] for r in quality.filter_quality(table).select("doc_id").collect()} == kept
+    assert not [r[0] for r in rows if r[0] in kept and r[5] > 0.4 * r[3]]
+    label = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    base = {r[0] for r in rows if r[3] >= 20 and 100 * r[8] <= 30 * r[3]}
+    junk, good = ([i for i in base if label.get(i) == q] for q in (0, 1))
+    assert sum(i in kept for i in junk) <= 0.1 * len(junk) and sum(i in kept for i in good) >= 0.98 * len(good)
+
+
+def test_quality_of_a_group_of_junk(spark):
+    """Of a group that is mostly or by a third junk, the junk goes and the rest stays."""
+    clean = " ".join(f"w{i:03d}" for i in range(60))
+    junk = " ".join(f"w{i:03d}" if i % 2 else "#$%" for i in range(60)) + " a b c"
+    junk = " ".join(f"{w}{i}" for i, w in enumerate(junk.split()))
+    rows = [(1000 * s + i, junk if i < bad else clean, "en", f"s{s}") for s, bad in enumerate((0, 0, 20, 40)) for i in range(60)]
+    got = {r["doc_id"] for r in quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("kept").collect()}
+    assert got == {r[0] for r in rows if r[1] == clean}
+
+
 def brute_similar(rows):
     sets = []
     for row in rows:
