@@ -168,6 +168,29 @@ def test_one_of_each_group_stays(docs, fixture_rows):
     assert want <= got | {None} and got - {None} == want
 
 
+def test_exactly_one_row_of_each_group_stays(spark, docs, fixture_rows):
+    """Counts of rows, not sets of ids: repeated rows, null ids that are linked, one id in two groups, groups of null ids alone."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    extra = [(500, a), (500, a), (500, a.upper()), (500, b), (600, b), (400, c), (500, c), (None, c), (None, d), (None, d), (None, d + " more"), (None, None), (None, ""), (700, None)]
+    extra = [(i, t, "en", "s", len(t or ""), 9, "x", "y") for i, t in extra]
+    for rows, table in ((extra, spark.createDataFrame(extra, SCHEMA).repartition(3)), (fixture_rows, docs)):
+        left = [(r["doc_id"], r["text"]) for r in jaccard.keep_one(table).collect()]
+        sets = [set(zip(w, w[1:], strict=False)) if len(w) > 1 else {tuple(w)} for r in rows if (w := words((r[1] or "").translate(LOWER)))]
+        some = [r for r in rows if words(r[1])]
+        root = list(range(len(some)))
+        for i, x in enumerate(sets):
+            for j in range(i):
+                if 100 * len(x & sets[j]) >= 60 * len(x | sets[j]):
+                    p, q = root[i], root[j]
+                    root = [min(p, q) if r in (p, q) else r for r in root]
+        low = {}
+        for r, row in zip(root, some, strict=True):
+            low[r] = min(low.get(r, math.inf), math.inf if row[0] is None else row[0])
+        assert collections.Counter(math.inf if i is None else i for i, t in left if words(t)) == collections.Counter(low.values())
+        assert collections.Counter((i, t) for i, t in left if not words(t)) == collections.Counter((r[0], r[1]) for r in rows if not words(r[1]))
+        assert all((i, t) in {(r[0], r[1]) for r in rows} for i, t in left)
+
+
 def test_mixing(docs, fixture_rows):
     got = mixing.taken(docs).collect()
     size = collections.Counter()
