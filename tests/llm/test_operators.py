@@ -353,6 +353,18 @@ def test_hpylm_beats_the_base_on_held_out_text(spark, sf_dir):
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
 
 
+def test_hpylm_uses_rare_words_before(spark):
+    """Each of 300 rare words is followed by a word of its own: the word before must tell it, however rare."""
+    rng = random.Random(3)
+    filler = [f"f{i}" for i in range(400)]
+    text = lambda ks: " ".join(f"{rng.choice(filler)} a{k} b{k}" for k in ks)
+    rows = [(i, text(rng.sample(range(300), 20))) for i in range(400)]
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 1]
+    got = {r["doc_id"]: r for r in hpylm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert sum(got[i]["score"] for i in held) > 0.75 * sum(got[i]["base_score"] for i in held)
+    assert len(got) == len(rows)
+
+
 def test_seating_is_a_distribution():
     """Predictive probabilities of all known words and the new one add up to one in each context."""
     rng = np.random.default_rng(0)
