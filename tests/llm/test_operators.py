@@ -160,6 +160,14 @@ def test_jaccard_in_squares(docs, fixture_rows, monkeypatch):
     assert got == brute_similar(fixture_rows)
 
 
+@pytest.mark.parametrize("crowd", [1, 2])
+def test_jaccard_in_crowded_columns(docs, fixture_rows, monkeypatch, crowd):
+    """The same where columns of more than one or two classes are joined along the order of sizes."""
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["n_similar"], r["component_id"]) for r in jaccard.similar(docs).collect())
+    assert got == brute_similar(fixture_rows)
+
+
 def test_one_of_each_group_stays(docs, fixture_rows):
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
