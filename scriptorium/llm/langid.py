@@ -282,4 +282,4 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 def predict(docs: DataFrame, **options) -> DataFrame:
     """identify() with a model learnt from the documents whose crc32(doc_id as text) mod 4 is not 2."""
     learnt = docs.where(F.pmod(common.crc_of_id(), F.lit(4)) != 2).select("doc_id", "text", "lang")
-    return identify(docs.select("doc_id", "text"), fit(learnt, **options)).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(docs.select("doc_id", "text"), fit(learnt, **options))

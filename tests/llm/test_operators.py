@@ -303,6 +303,15 @@ def test_language_identification(spark, sf_dir):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_language_rejection(spark, sf_dir):
+    """Texts of languages that were not learnt are rejected, those of learnt ones are not, but for a few."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    other = [(9_000_001, "Быстрая коричневая лиса прыгает через ленивую собаку и бежит в лес. " * 4, None), (9_000_002, "Η γρήγορη καφετιά αλεπού πηδάει πάνω από το τεμπέλικο σκυλί. " * 4, None), (9_000_003, "", None)]
+    got = {r["doc_id"]: r["rejected"] for r in langid.predict(table.unionByName(spark.createDataFrame(other, table.schema))).collect()}
+    assert all(got.pop(i) for i, _, _ in other)
+    assert sum(got.values()) < 0.1 * len(got)
+
+
 def test_language_edges(docs, fixture_rows):
     got = langid.predict(docs).collect()
     assert len(got) == len(fixture_rows)
