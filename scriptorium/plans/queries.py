@@ -472,7 +472,7 @@ def search(spark, sf_dir):
 
 @query("SELECT 'docs/prd-12-x.md' AS path, 'prd-12' AS id")
 def resolve_id(spark, sf_dir):
-    parts = _t(spark, sf_dir, "part").where("p_partkey between 1 and 150")
+    parts = _t(spark, sf_dir, "part")
     entries = parts.select(F.concat(F.lit("docs/prd-"), F.col("p_partkey"), F.lit("-x.md")).alias("path"), F.concat(F.lit("prd-"), F.col("p_partkey")).alias("id"))
     return graph.resolve_id(entries, "prd-12").select("path", "id")
 

@@ -33,3 +33,8 @@ def test_query(spark, duck, sf_dir, name):
         assert rows(got) == rows(want)
     else:
         assert len(got)
+
+
+def test_resolve_id_reads_all_parts(spark, sf_dir):
+    plan = q.QUERIES["resolve_id"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "p_partkey" in plan and "150" not in plan
