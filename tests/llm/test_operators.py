@@ -387,18 +387,83 @@ def test_seating_is_a_distribution():
     rng = np.random.default_rng(0)
     c = rng.integers(0, 9, (3, 20))
     ctx, word = np.nonzero(c)
-    mean, tw, tu = hpylm.gibbs(c[ctx, word], word, ctx, 20, 3, 1.0, 1)
-    assert (mean >= 1 - 1e-9).all() and (mean <= c[ctx, word] + 1e-9).all()
-    s = hpylm.Scores(np.bincount(ctx, c[ctx, word], 3), tu, int((tw > 0).sum()), c.sum(), mean.sum())
-    numer = np.zeros((3, 20))
-    numer[ctx, word] = c[ctx, word] - hpylm.D1 * mean
+    n = c[ctx, word]
+    t, totals = np.ones(len(n)), []
+    for _ in range(hpylm.BURN_IN + 1):
+        totals.append(hpylm.Totals(np.bincount(word, t, 20), np.bincount(ctx, t, 3), t.sum(), 20))
+        t = hpylm.chain(n, ctx, word, np.arange(len(n)).astype(np.uint64), totals, hpylm.D1, hpylm.D0)[-1]
+    mean = t / hpylm.DRAWS
+    assert (mean >= 1 - 1e-9).all() and (mean <= n + 1e-9).all()
+    tw, tu = np.bincount(word, mean, 20), np.bincount(ctx, mean, 3)
+    s = hpylm.Scores(np.bincount(ctx, n, 3), tu, int((tw > 0).sum()), c.sum(), mean.sum())
+    tables = np.zeros((3, 20))
+    tables[ctx, word] = mean
     seen = np.flatnonzero(tw > 0)
     for u in range(3):
-        p = 10 ** s.log10(numer[u][seen], np.full(len(seen), u), tw[seen])
-        new = 10 ** s.log10(np.zeros(1), np.array([u]), np.zeros(1))
+        p = 10 ** s.log10(c[u][seen], tables[u][seen], np.full(len(seen), u), tw[seen])
+        new = 10 ** s.log10(np.zeros(1), np.zeros(1), np.array([u]), np.zeros(1))
         assert math.isclose(p.sum() + new.sum(), 1, rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("g", [0.05, 0.7, 9.0])
+def test_tables_are_drawn_as_customers_sit(g):
+    """Draws against a sampler that keeps every table: it takes one customer out at a time and seats it by the restaurant's rule."""
+    d, rng = 0.6, random.Random(4)
+    for c in (2, 3, 7, 15):
+        tables, seen = [c], []
+        for step in range(40_000):
+            at = rng.choices(range(len(tables)), tables)[0]
+            tables[at] -= 1
+            tables = [x for x in tables if x]
+            at = rng.choices(range(len(tables) + 1), [x - d for x in tables] + [g])[0]
+            if at == len(tables):
+                tables.append(0)
+            tables[at] += 1
+            if step > 500:
+                seen.append(len(tables))
+        got = hpylm.draw_tables(np.full(20_000, c), np.full(20_000, g), kernels.mix64(np.arange(20_000).astype(np.uint64)), 0, d, hpylm.log_stirling(d))
+        assert abs(got.mean() - np.mean(seen)) < 0.04 * np.mean(seen)
+        assert abs(got.var() - np.var(seen)) < 0.1 + 0.1 * np.var(seen)
+
+
+def test_draws_of_many_customers_join_those_of_few():
+    """The limit has the mean and the spread of the exact distribution where both can be had."""
+    key = kernels.mix64(np.arange(20_000).astype(np.uint64))
+    for d in (0.5, 0.7, 0.9):
+        log_s = hpylm.log_stirling(d, 250)
+        for g in (0.05, 0.5, 5.0, 40.0, 100.0):
+            exact, limit = (hpylm.draw_tables(np.full(20_000, 250), np.full(20_000, g), key, 0, d, s) for s in (log_s, log_s[:9, :10]))
+            assert abs(exact.mean() - limit.mean()) < 0.03 * exact.mean() and abs(exact.std() - limit.std()) < 0.03 + 0.05 * exact.std(), (d, g)
+
+
+def test_hpylm_is_the_same_for_any_split(spark, docs, monkeypatch):
+    """Scores do not depend on partitions, blocks or parts, to the last bit; every doc_id of the fixture but 200 has one score."""
+    score = lambda df: sorted((str(r["doc_id"]), r["score"]) for r in hpylm.score_documents(df).collect())
+    whole = score(docs.coalesce(1))
+    monkeypatch.setattr(hpylm, "TEXTS", 60)
+    monkeypatch.setattr(hpylm, "PART", 100)
+    assert score(docs.repartition(5)) == whole
+
+
+def test_hpylm_against_brute_force(spark):
+    """A model of pairs that all occur once has one table each, so the score is known in closed form."""
+    rows = [(0, "a b c"), (4, "d e"), (5, None), (7, "f g h i")]
+    rows = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1] + [(next(i for i in range(100, 999) if zlib.crc32(str(i).encode()) % 5 == 1), "A b x")]
+    text = {i: [*words((t or "").translate(LOWER)), ""] for i, t in rows}
+    train = [t for i, t in text.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    pairs = collections.Counter((u, w) for t in train for u, w in zip([""] + t[:-1], t, strict=True))
+    assert set(pairs.values()) == {1}
+    tables_w, tables_u, customers = collections.Counter(w for _, w in pairs), collections.Counter(u for u, _ in pairs), collections.Counter(w for t in train for w in t)
+    once, twice = (sum(n == k for n in tables_w.values()) for k in (1, 2))
+    d1, d0, v = hpylm.D1, once / (once + 2 * twice) if once and twice else hpylm.D0, len(tables_w)
+    for r in hpylm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        want = 0.0
+        for u, w in zip([""] + text[r["doc_id"]][:-1], text[r["doc_id"]], strict=True):
+            p0 = ((tables_w[w] - d0) if w in tables_w else 1 + d0 * v) / (1 + len(pairs))
+            want += math.log10((pairs[u, w] * (1 - d1) + (1 + d1 * tables_u[u]) * p0) / (1 + customers[u]))
+        assert math.isclose(r["score"], want, rel_tol=1e-9)
+
+
 TEXT = "Mail und.34@mail7.example.com or +1 (017) 555-7713 190.137.223.204 card 4111 1111 1111 1111 order 9807915762804491 token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" DE89 3704 0044 0532 0130 00 and Mr. John Smith, Anna Kowalski. UND.34@MAIL7.example.com"
 
 
