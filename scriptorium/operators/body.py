@@ -10,14 +10,14 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions, text
+from ..sources import crossing
 from ..sources.markdown import Block, Section, load_yaml, rule_fences, section_tree, split_front
 from . import fences, fields
 
@@ -470,68 +470,65 @@ def _formula(p: object, node: Section, fm: dict) -> tuple[Found, int | None]:
 _CHECKS = {"table": _table, "list": _list, "code": _code, "mermaid": _parsed("mermaid", ("mermaid", "mmd"), fences.diagram_problems, True), "gherkin": _parsed("gherkin", ("gherkin", "feature"), fences.feature_problems, False), "formula": _formula}
 
 
+def found_in(template: str | None, fm: dict, body: str | None, rules: dict[str, list[Rule]]) -> list[dict]:
+    """Issues of one body: leaked rule fences, then what the rules of its template find."""
+    leaks = rule_fences(body) if body and "section-rules" in body else []
+    found = [_issue("error", "body", "A fence of section rules belongs to templates only", "section-rules-leak", line, "Remove the fence") for line, _ in leaks]
+    return found + judge(rules[template], body, fm) if template in rules else found
+
+
+def usable(templates: dict[str, Template]) -> dict[str, list[Rule]]:
+    """Section rules by template, of the templates that have no problem."""
+    return {k: t.body for k, t in templates.items() if not t.problems}
+
+
 def body_issues(docs: DataFrame, templates: dict[str, Template]) -> DataFrame:
-    """One row per body issue of docs (path, template, fm_json, body): section rules, and leaked rule fences."""
-    rules = {k: t.body for k, t in templates.items() if not t.problems}
+    """One row per body issue of docs (path, template, fm_json, body): section rules, and leaked rule fences. Documents that
+    validate.parsed() made carry their issues already and are not parsed again."""
+    if "body_issues" in docs.columns:
+        return docs.select("path", F.posexplode("body_issues").alias("seq", "i")).select("path", "seq", "i.*")
+    rules = usable(templates)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["path", "seq", "level", "field", "message", "error_type", "fix", "body_line"]
-        for f in frames:
-            rows = []
-            for path, template, fm, body in zip(f["path"], f["template"], f["fm_json"], f["body"], strict=True):
-                found = [_issue("error", "body", "A fence of section rules belongs to templates only", "section-rules-leak", line, "Remove the fence") for line, _ in rule_fences(body)]
-                if template in rules:
-                    found += judge(rules[template], body, json.loads(fm) if fm else {})
-                rows += [(path, i, *(x[k] for k in names[2:])) for i, x in enumerate(found)]
-            yield pd.DataFrame(rows, columns=names).astype({"seq": "int32", "body_line": "Int32"})
+    def each(path, template, fm, body):
+        for i, x in enumerate(found_in(template, json.loads(fm) if fm else {}, body, rules)):
+            yield path, i, *(x[k] for k in ("level", "field", "message", "error_type", "fix", "body_line"))
 
-    return docs.select("path", "template", "fm_json", "body").mapInPandas(run, ISSUE_COLUMNS)
+    schema = pa.schema([("path", pa.string()), ("seq", pa.int32()), *crossing.ISSUE])
+    return crossing.crossed(docs, ["path", "template", "fm_json", "body"], each, schema, ISSUE_COLUMNS)
 
 
 def sections(docs: DataFrame) -> DataFrame:
     """One row per heading: path, section_id, parent_id, depth, text, norm_text, line, heading_path."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows: list[tuple] = []
-
-            def walk(node: Section, parent: int | None, above: tuple[str, ...], path: str, count: list[int], rows=rows):
-                for c in node.children:
-                    number = count[0]
-                    count[0] += 1
-                    trail = (*above, label(c.depth, c.text))
-                    rows.append((path, number, parent, c.depth, c.text, c.text.lower().strip(), c.line, JOINT.join(trail)))
-                    walk(c, number, trail, path, count)
+    def walk(path: str, node: Section, parent: int | None, above: tuple[str, ...], out: list[tuple]) -> list[tuple]:
+        for c in node.children:
+            number, trail = len(out), (*above, label(c.depth, c.text))
+            out.append((path, number, parent, c.depth, c.text, c.text.lower().strip(), c.line, JOINT.join(trail)))
+            walk(path, c, number, trail, out)
+        return out
 
-            for path, body in zip(f["path"], f["body"], strict=True):
-                walk(section_tree(body), None, (), path, [0])
-            yield pd.DataFrame(rows, columns=["path", "section_id", "parent_id", "depth", "text", "norm_text", "line", "heading_path"]).astype({"parent_id": "Int32"})
-
-    return docs.select("path", "body").mapInPandas(run, "path string, section_id int, parent_id int, depth int, text string, norm_text string, line int, heading_path string")
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string())
+    schema = pa.schema(list(zip(("path", "section_id", "parent_id", "depth", "text", "norm_text", "line", "heading_path"), kinds, strict=True)))
+    return crossing.crossed(docs, ["path", "body"], lambda path, body: walk(path, section_tree(body), None, (), []), schema, "path string, section_id int, parent_id int, depth int, text string, norm_text string, line int, heading_path string")
 
 
 def blocks(docs: DataFrame) -> DataFrame:
     """One row per table, list and code fence at the top level of a section: path, heading, kind, ix (of its kind in the section),
     line, lang, value, headers, rows, items."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows: list[tuple] = []
-
-            def walk(path: str, node: Section, rows=rows):
-                seen: dict[str, int] = {}
-                for b in node.blocks:
-                    if b.kind in ("table", "list", "code"):
-                        ix = seen[b.kind] = seen.get(b.kind, -1) + 1
-                        rows.append((path, node.text, b.kind, ix, b.line, b.lang, b.text if b.kind == "code" else None, b.headers, b.rows, [t for t, _ in b.items]))
-                for c in node.children:
-                    walk(path, c)
-
-            for path, body in zip(f["path"], f["body"], strict=True):
-                walk(path, section_tree(body))
-            yield pd.DataFrame(rows, columns=["path", "heading", "kind", "ix", "line", "lang", "value", "headers", "rows", "items"])
-
-    return docs.select("path", "body").mapInPandas(run, "path string, heading string, kind string, ix int, line int, lang string, value string, headers array<string>, rows array<array<string>>, items array<string>")
+    def walk(path: str, node: Section):
+        seen: dict[str, int] = {}
+        for b in node.blocks:
+            if b.kind in ("table", "list", "code"):
+                ix = seen[b.kind] = seen.get(b.kind, -1) + 1
+                yield path, node.text, b.kind, ix, b.line, b.lang, b.text if b.kind == "code" else None, b.headers, b.rows, [t for t, _ in b.items]
+        for c in node.children:
+            yield from walk(path, c)
+
+    texts = pa.list_(pa.string())
+    kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), texts, pa.list_(texts), texts)
+    schema = pa.schema(list(zip(("path", "heading", "kind", "ix", "line", "lang", "value", "headers", "rows", "items"), kinds, strict=True)))
+    return crossing.crossed(docs, ["path", "body"], lambda path, body: walk(path, section_tree(body)), schema, "path string, heading string, kind string, ix int, line int, lang string, value string, headers array<string>, rows array<array<string>>, items array<string>")
 
 
 def table_cells(found: DataFrame) -> DataFrame:

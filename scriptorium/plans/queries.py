@@ -498,6 +498,10 @@ def _docs(spark, sf_dir):
     return markdown.parse_documents(testbed.order_documents(spark, sf_dir))
 
 
+def _templates():
+    return {testbed.TEMPLATE_PATH: body.load_template(testbed.TEMPLATE_PATH, testbed.TEMPLATE)}
+
+
 def _key(path="path"):
     return F.regexp_extract(path, r"order-(\d+)", 1).cast("long").alias("o_orderkey")
 
@@ -557,10 +561,8 @@ _FRONT_SQL = """SELECT o_orderkey, 'min-violation' AS error_type, 'error' AS lev
   FROM (SELECT o_orderkey, 'error' AS level, k FROM ({_BODY_SQL}) UNION ALL SELECT o_orderkey, level, 1 FROM ({_FRONT_SQL})) GROUP BY 1""")
 def validate_documents(spark, sf_dir):
     """Every check on whole documents: front matter, body, path and links, one result row per document."""
-    docs = _docs(spark, sf_dir)
-    template = body.load_template(testbed.TEMPLATE_PATH, testbed.TEMPLATE)
-    found = validate.document_issues(docs, {testbed.TEMPLATE_PATH: template})
-    return validate.document_results(docs, found).select(_key(), "n_errors", "n_warnings", "valid")
+    docs = validate.parsed(testbed.order_documents(spark, sf_dir), _templates())
+    return validate.checked_results(docs, _templates()).select(_key(), "n_errors", "n_warnings", "valid")
 
 
 @query("SELECT o_orderkey, o_orderkey % 2 = 0 AS changed FROM orders")
@@ -574,9 +576,8 @@ def format_documents(spark, sf_dir):
 
 @query("SELECT o_orderkey, 'reviewer' AS field, 'insert_key' AS edit FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 3 = 0")
 def quick_fixes(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    found = validate.document_issues(docs, {testbed.TEMPLATE_PATH: body.load_template(testbed.TEMPLATE_PATH, testbed.TEMPLATE)})
-    return rewrite.quick_fixes(found).select(_key(), "field", "edit")
+    docs = validate.parsed(testbed.order_documents(spark, sf_dir), _templates())
+    return rewrite.quick_fixes(validate.document_issues(docs, _templates())).select(_key(), "field", "edit")
 
 
 @query("SELECT o_orderkey, 'seen @anna.x and @ann-x and @bob, @bob' AS new_text FROM orders WHERE o_orderkey % 3 = 0")

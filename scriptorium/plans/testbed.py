@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import crossing
+
 TEMPLATE_PATH = "templates/order-template.md"
 TEMPLATE = """---
 title: Order template
@@ -85,14 +87,18 @@ required:
 
 
 def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path and text of one document per order. Orders without items have no table and no list."""
+    """path and text of one document per order. Orders without items have no table and no list.
+
+    Both tables are laid out by order once, in as many tasks as the parsing that follows needs (Spark would else broadcast the one and keep
+    the single file of the other as a single task); grouping and join then shuffle no more. Lists gain nothing from partial aggregation."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     line = F.format_string("| %d | %.0f | %s |", "l_linenumber", "l_quantity", "l_returnflag")
     part = F.format_string("- part %d", F.col("l_suppkey") % 10)
     sorted_text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", c.alias("t")))), lambda x: x["t"]), "\n")
-    per = items.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(sorted_text(line).alias("rows"), sorted_text(part).alias("parts"))
-    joined = orders.join(per, "o_orderkey", "left")
+    tasks = crossing.tasks_for(items)
+    per = items.repartition(tasks, "l_orderkey").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(sorted_text(line).alias("rows"), sorted_text(part).alias("parts"))
+    joined = orders.repartition(tasks, "o_orderkey").join(per.hint("shuffle_merge"), "o_orderkey", "left")
     status = F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "F", "done").otherwise("partial")
     reviewer = F.when(F.col("o_custkey") % 3 != 0, F.format_string("reviewer: person-%d\n", "o_custkey")).otherwise("")
     extra = F.when(F.col("o_orderkey") % 7 == 0, F.lit("region: north\n")).otherwise("")

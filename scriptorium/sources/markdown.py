@@ -10,18 +10,22 @@ from __future__ import annotations
 import datetime
 import json
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.values import VALUE_SQL
+from . import crossing
 
 SKIPPED_FOLDERS = ("node_modules", "dist", "build", "coverage", "vendor")
 DOCUMENT_SQL = f"path string, folder string, template string, fm map<string,{VALUE_SQL}>, fm_json string, body string, body_line int, parse_error string, headings array<string>"
+DOCUMENT = pa.schema([
+    ("path", pa.string()), ("folder", pa.string()), ("template", pa.string()), ("fm", pa.map_(pa.string(), crossing.VALUE)), ("fm_json", pa.string()),
+    ("body", pa.string()), ("body_line", pa.int32()), ("parse_error", pa.string()), ("headings", pa.list_(pa.string())),
+])
 
 
 @dataclass
@@ -53,10 +57,15 @@ _ITEM = re.compile(r"^( {0,3})([-+*]|\d{1,9}[.)])(?:([ \t]+)(.*))?$")
 _UNDERLINE = re.compile(r"^ {0,3}(=+|-+)[ \t]*$")
 _DELIMITER = re.compile(r"^ {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
 _QUOTE = re.compile(r"^ {0,3}> ?")
+_MARKED = re.compile(r"[`\\<\[*~_]")
+_INDENTED = re.compile(r"^(?: {4}|\t)")
+_PLAIN = re.compile(r"^[A-Za-z(\"']")  # no block but a paragraph or a table begins so
 
 
 def inline_text(s: str) -> str:
     """Text without emphasis, code marks, links, images and escapes."""
+    if not _MARKED.search(s):
+        return s
     kept: list[str] = []
 
     def keep(x: str) -> str:
@@ -131,10 +140,10 @@ def blocks_of(body: str) -> list[Block]:
             out.append(Block("break", i + 1))
             i += 1
             continue
-        if not paragraph and re.match(r"^(?: {4}|\t)", line):
+        if not paragraph and _INDENTED.match(line):
             start, value = i, []
-            while i < len(lines) and (re.match(r"^(?: {4}|\t)", lines[i]) or not lines[i].strip()):
-                value.append(re.sub(r"^(?: {4}|\t)", "", lines[i]))
+            while i < len(lines) and (_INDENTED.match(lines[i]) or not lines[i].strip()):
+                value.append(_INDENTED.sub("", lines[i]))
                 i += 1
             out.append(Block("code", start + 1, text="\n".join(value).rstrip("\n")))
             continue
@@ -256,7 +265,7 @@ def yaml_loader():
     if _loader is None:
         import yaml
 
-        class Loader(yaml.SafeLoader):
+        class Loader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
             pass
 
         Loader.yaml_implicit_resolvers = {}
@@ -360,11 +369,11 @@ def parse_one(path: str | None, source: str | None) -> dict:
 def parse_documents(raw: DataFrame, path: str = "path", source: str = "text") -> DataFrame:
     """Documents from a path and a text column; a null text is an empty document. Nothing is shuffled."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame([parse_one(p, s) for p, s in zip(f["path"], f["text"], strict=True)], columns=["path", "folder", "template", "fm", "fm_json", "body", "body_line", "parse_error", "headings"])
+    def each(p, text):
+        d = parse_one(p, text)
+        yield tuple(list(d[k].items()) if k == "fm" else d[k] for k in DOCUMENT.names)
 
-    return raw.select(F.col(path).cast("string").alias("path"), F.col(source).alias("text")).mapInPandas(run, DOCUMENT_SQL)
+    return crossing.crossed(raw, [F.col(path).cast("string").alias("path"), F.col(source).alias("text")], each, DOCUMENT, DOCUMENT_SQL)
 
 
 def relative_path(root: str) -> Column:
