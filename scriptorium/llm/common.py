@@ -8,11 +8,14 @@ the size it measured is under its threshold), and makes several passes agree on
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import time
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +23,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Only where it is unset (tests, one machine) a local one is made."""
+    """The folder named in spark.checkpoint.dir. Where it is unset a local one is made, on one machine only: executors elsewhere could not read it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -83,3 +88,35 @@ def free_shuffles(spark: SparkSession) -> None:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.5)
+
+
+def trim() -> None:
+    """Gives freed memory of this Python worker back to the system, which its allocators else keep for later."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def zipped(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 as compressed byte planes."""
+    raw = np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(x).to_bytes(8, "little") + (pa.Codec("zstd", 1).compress(raw, asbytes=True) if raw else b"")
+
+
+def unzipped(b: bytes) -> np.ndarray:
+    n = int.from_bytes(b[:8], "little")
+    if not n:
+        return np.zeros(0, np.uint64)
+    raw = pa.Codec("zstd").decompress(b[8:], 8 * n, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view(np.uint64).ravel()
+
+
+def zipped_keys(x: np.ndarray) -> bytes:
+    """Ascending keys."""
+    return zipped(np.diff(x, prepend=np.uint64(0)))
+
+
+def unzipped_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(unzipped(b), dtype=np.uint64)
