@@ -140,7 +140,7 @@ def docs_of(doc: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(doc, np.arange(n + 1))
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 3 << 20, max_rows: int = 1 << 16):
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20, max_rows: int = 1 << 16):
     """Row slices of a batch whose texts take up to max_bytes together; a longer text comes alone."""
     _, offsets = text_buffers(batch.column(batch.schema.get_field_index(column)))
     i, n = 0, batch.num_rows
