@@ -300,20 +300,15 @@ def vocabulary_drift(spark, sf_dir):
     return entropy.vocabulary_drift(_terms(spark, sf_dir)).withColumn("drift_score", F.round("drift_score", 9))
 
 
-@query("""WITH n AS (SELECT DISTINCT c_name AS t FROM customer WHERE c_custkey < 400 UNION SELECT DISTINCT p_name FROM part)
+@query("""WITH n AS (SELECT DISTINCT p_name AS t FROM part)
   SELECT a.t AS term_a, b.t AS term_b, round(levenshtein(lower(a.t), lower(b.t)) / greatest(length(a.t), length(b.t)), 9) AS distance FROM n a JOIN n b ON a.t < b.t
   WHERE lower(a.t) <> lower(b.t) AND levenshtein(lower(a.t), lower(b.t)) / greatest(length(a.t), length(b.t)) <= 0.2""")
 def fuzzy_pairs(spark, sf_dir):
-    """Near terms of part names and of customer names."""
+    """Near terms of part names."""
     names = _t(spark, sf_dir, "part").select(F.col("p_name").alias("term"))
     return entropy.fuzzy_pairs(names, 0.2).withColumn("distance", F.round("distance", 9))
 
 
-ORACLES["fuzzy_pairs"] = """WITH n AS (SELECT DISTINCT p_name AS t FROM part)
-  SELECT a.t AS term_a, b.t AS term_b, round(levenshtein(lower(a.t), lower(b.t)) / greatest(length(a.t), length(b.t)), 9) AS distance FROM n a JOIN n b ON a.t < b.t
-  WHERE lower(a.t) <> lower(b.t) AND levenshtein(lower(a.t), lower(b.t)) / greatest(length(a.t), length(b.t)) <= 0.2"""
-
-
 @query()
 def fuzzy_groups(spark, sf_dir):
     uses = entropy.term_uses(_t(spark, sf_dir, "part").select(F.lit("tag").alias("kind"), F.col("p_name").alias("term")))
@@ -600,6 +595,33 @@ def move_document(spark, sf_dir):
     return changed.select(_key(), F.regexp_extract("new_text", r"\]\(([^)]*)\)", 1).alias("link"))
 
 
+@query(f"""SELECT o_orderkey, 'order' AS anchor FROM orders UNION ALL SELECT o_orderkey, 'summary' FROM orders
+  UNION ALL SELECT l_orderkey, 'items' FROM {_ITEMS} UNION ALL SELECT l_orderkey, 'parts' FROM {_ITEMS} UNION ALL SELECT o_orderkey, 'outcome' FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 5 <> 0""")
+def heading_anchors(spark, sf_dir):
+    return graph.anchors(body.sections(_docs(spark, sf_dir))).select(_key(), "anchor")
+
+
+@query("""SELECT o_orderkey, 'order-' || o_orderkey AS id, 'Order ' || o_orderkey AS title, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'done' ELSE 'partial' END AS status FROM orders""")
+def index_entries(spark, sf_dir):
+    return graph.index_entries(_docs(spark, sf_dir)).select(_key(), "id", "title", "status")
+
+
+@query("""SELECT l_orderkey, l_linenumber, 'relationships.uses[' || l_linenumber || '].path' AS field FROM lineitem WHERE l_partkey % 3 < 2""")
+def relationship_issues(spark, sf_dir):
+    """Relationships by relative paths."""
+    start = F.when(F.col("l_partkey") % 3 == 0, "../parts/").when(F.col("l_partkey") % 3 == 1, "./").otherwise("/parts/")
+    links = F.array(F.struct(F.lit("uses").alias("kind"), F.col("l_linenumber").alias("index"), F.concat(start, F.col("l_partkey"), F.lit(".md")).alias("path")))
+    df = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", links.alias("links"))
+    return issues.exploded(df, ["l_orderkey", "l_linenumber"], validators.relationship_issues(F.col("links"))).select("l_orderkey", "l_linenumber", "field")
+
+
+@query("SELECT 'img/' || CASE WHEN p_partkey % 2 = 0 THEN 'Part ' ELSE 'part-' END || p_partkey || '.png' AS path, CAST(1 AS BIGINT) AS n_errors, 'asset' AS doc_type FROM part WHERE p_partkey % 2 = 0")
+def asset_results(spark, sf_dir):
+    """Files that are no documents and whose names are no slugs."""
+    name = F.concat(F.lit("img/"), F.when(F.col("p_partkey") % 2 == 0, "Part ").otherwise("part-"), F.col("p_partkey"), F.lit(".png"))
+    return validate.asset_results(_t(spark, sf_dir, "part").select(name.alias("path"))).select("path", "n_errors", "doc_type")
+
+
 # --- streams -------------------------------------------------------------------------------------------------------
 
 
