@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -168,6 +169,43 @@ def test_jaccard_in_crowded_columns(docs, fixture_rows, monkeypatch, crowd):
     assert got == brute_similar(fixture_rows)
 
 
+def test_jaccard_in_small_blocks_and_rounds(docs, fixture_rows, monkeypatch):
+    """The same where blocks hold a few entries, copies of a class lie in several of them, and squares are sent in rounds."""
+    monkeypatch.setattr(jaccard, "BLOCK", 50)
+    monkeypatch.setattr(jaccard, "MEMBERS", 2)
+    monkeypatch.setattr(jaccard, "COPIES", 3)
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["n_similar"], r["component_id"]) for r in jaccard.similar(docs).collect())
+    assert got == brute_similar(fixture_rows)
+
+
+def test_entries_take_no_more_bytes_in_smaller_slices(spark, monkeypatch):
+    """What is staged at a time grows with the entries, not with the number of slices that they are cut into."""
+    rng = random.Random(3)
+    table = spark.createDataFrame([(i, " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(100))) for i in range(3000)], "doc_id long, text string").repartition(4)
+    staged, discard, there = jaccard.common.staged, jaccard.common.discard, {}
+    peak = []
+
+    def counted(df, name):
+        out = staged(df, name)
+        there[out.staged_path] = sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(out.staged_path.removeprefix("file:")) for f in files if f.endswith(".parquet"))
+        peak[-1] = max(peak[-1], sum(there.values()))
+        return out
+
+    def dropped(*frames):
+        for f in frames:
+            there.pop(getattr(f, "staged_path", None), None)
+        discard(*frames)
+
+    monkeypatch.setattr(jaccard.common, "staged", counted)
+    monkeypatch.setattr(jaccard.common, "discard", dropped)
+    for block in (1 << 20, 4000):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        there.clear()
+        peak.append(0)
+        assert jaccard.similar(table).count() == 3000
+    assert 0 < peak[1] < 2 * peak[0]
+
+
 def test_one_of_each_group_stays(docs, fixture_rows):
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
