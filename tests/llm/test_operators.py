@@ -206,6 +206,31 @@ def test_entries_take_no_more_bytes_in_smaller_slices(spark, monkeypatch):
     assert 0 < peak[1] < 2 * peak[0]
 
 
+def test_blocks_columns_and_long_rows_move_in_parts(spark, monkeypatch):
+    """Blocks meet their answers in parts that cover all of them, and a round of squares is bounded by entries: a few long texts that hang together are not one round."""
+    rng = random.Random(4)
+    long = [f"w{rng.randint(0, 10**6)}" for _ in range(3000)]
+    rows = [(i, " ".join(long[:-1] + [f"x{i}"])) for i in range(12)] + [(100 + i, " ".join(f"s{i}.{k}" for k in range(8))) for i in range(2000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    staged, seen = jaccard.common.staged, []
+
+    def counted(df, name):
+        out = staged(df, name)
+        seen.append((name, {r["block"] for r in out.select("block").distinct().collect()} if name in ("lists", "sets") else None))
+        return out
+
+    want = sorted(map(tuple, jaccard.similar(table).collect()))
+    monkeypatch.setattr(jaccard.common, "staged", counted)
+    for name, value in (("BLOCK", 2000), ("ROUND", 1), ("MEMBERS", 5), ("COPIES", 1)):
+        monkeypatch.setattr(jaccard, name, value)
+    assert sorted(map(tuple, jaccard.similar(table).collect())) == want
+    assert [n for d, _, n, *_ in want if d < 100] == [11] * 12
+    parts = [b for name, b in seen if name == "lists"]
+    whole = set().union(*parts)
+    assert len(parts) == jaccard.ROUNDS and sum(map(len, parts)) == len(whole) and max(map(len, parts)) <= len(whole) / 2
+    assert sum(name == "links" for name, _ in seen) > 2  # the long ones are 12 of some 2,000 classes, and most of the entries
+
+
 def test_one_of_each_group_stays(docs, fixture_rows):
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
