@@ -24,11 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, kernels
 
 SLACK = 2
 GROUP = 200_000
-CACHE = 600_000
+CACHE = 300_000  # units of a generation
 _encoders: dict[str, Encoder] = {}
 
 
@@ -37,48 +37,86 @@ class Encoder:
 
     In a byte-level BPE with the usual splitting rule no token spans a single space or line break from the
     character before it, so a text whose white space is single spaces and line breaks is the sequence of its units.
-    Any other text is encoded whole.
+    Any other text is encoded whole. Units are remembered in two generations: a full one becomes the older, and what is met again moves over.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.first = _Units(self, "")
-        self.later = _Units(self, " ")
+        self.tokenizer = t = Tokenizer.from_file(path)
         self.newline = self.encode("\n")
+        self.marks = {x: self.encode(x) for x in (".", ",")}
+        # a word of Latin letters after a space is one piece of the usual splitting rule, so the library's model may have it at once
+        split, model = t.pre_tokenizer, t.model
+        usual = isinstance(split, pre_tokenizers.ByteLevel) and split.use_regex and not split.add_prefix_space and t.normalizer is None and t.truncation is None and t.padding is None
+        plain = isinstance(model, models.BPE) and not (model.dropout or model.continuing_subword_prefix or model.end_of_word_suffix)
+        apart = not any(a.content.isalpha() for a in t.get_added_tokens_decoder().values())
+        self.model = model if usual and plain and apart else None
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.bytes = {c: 256 + n for n, c in enumerate(c for c in range(256) if c not in shown)}
+        self.units = _Units(self, {})
 
     def encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def word(self, text: str) -> bytes:
+        """The ids of a word and the space before it, if any."""
+        letters = text[1:] if text[0] == " " else text
+        if self.model is None or not letters.isalpha():
+            return self.encode(text)
+        if text.isascii():
+            text = text.replace(" ", "\u0120")
+        elif max(letters) > "\u024f":
+            return self.encode(text)
+        else:
+            text = text.encode().decode("latin-1").translate(self.bytes)
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+
     def ids(self, text: str) -> bytes:
         """The ids as unsigned little-endian 32-bit integers."""
         if not text:
             return b""
-        words = text.split()
-        seams = text.count(" ") + text.count("\n")
-        if len(words) != seams + 1 or sum(map(len, words)) + seams != len(text):
+        if len(self.units) > CACHE:
+            self.units = _Units(self, dict(self.units))
+        units = text.replace("\n", " \n").split(" ")
+        units[0] = " " + units[0]
+        try:
+            return b"".join(map(self.units.__getitem__, units))
+        except _Odd:
             return self.encode(text)
-        units = text.split(" ")
-        return self.first[units[0]] + b"".join(map(self.later.__getitem__, units[1:]))
+
+    def forget(self) -> None:
+        """Lets go of all units: workers outlive a task, and what follows in them needs the memory."""
+        self.units = _Units(self, {})
+
+
+class _Odd(ValueError):
+    """White space other than a single space or line break between words."""
 
 
 class _Units(dict):
-    def __init__(self, encoder: Encoder, lead: str):
+    """Ids of units: a word alone follows a space, after a line break it keeps the break, and the first of a text has a space."""
+
+    def __init__(self, encoder: Encoder, older: dict[str, bytes]):
         super().__init__()
-        self.encoder, self.lead = encoder, lead
+        self.encoder, self.older = encoder, older
 
     def __missing__(self, unit: str) -> bytes:
-        if "\n" in unit:
-            head, *lines = unit.split("\n")
-            return self[head] + b"".join(self.encoder.newline + self.encoder.first[x] for x in lines)
-        if unit[-1:] in (".", ",") and unit[:-1].isalpha():
-            found = self[unit[:-1]] + self.encoder.first[unit[-1]]  # letters and punctuation never share a token
-        else:
-            found = self.encoder.encode(self.lead + unit)
+        found = self.older.get(unit)
+        if found is None and unit.isalpha():
+            found = self.encoder.word(" " + unit)
+        elif found is None:
+            lead = unit[:1]
+            word = unit[1:] if lead in (" ", "\n") else unit
+            if word.split() != [word]:
+                raise _Odd
+            if word[-1] in (".", ",") and word[:-1].isalpha():
+                found = self[unit[:-1]] + self.encoder.marks[word[-1]]  # letters and punctuation never share a token
+            elif lead == "\n":
+                found = self.encoder.newline + self.encoder.word(word)
+            else:
+                found = self.encoder.word(word if lead == " " else " " + word)
         if len(unit) <= 64:
-            if len(self) >= CACHE:
-                self.clear()
             self[unit] = found
         return found
 
@@ -119,6 +157,7 @@ _SQL = "bin long, final boolean, doc_id long, piece int, start long, length long
 
 def _tokenize(path: str, end_id: int, capacity: int):
     def run(batches):
+        common.trim()  # what earlier tasks of this worker left
         enc = encoder(path)
         end = array("I", [end_id]).tobytes()
         number = TaskContext.get().partitionId() << 36
@@ -135,9 +174,9 @@ def _tokenize(path: str, end_id: int, capacity: int):
             rows.clear()
             return out
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = enc.ids(text.as_py() or "") + end
+        for batch in (b for whole in batches for b in kernels.slices(whole, "text")):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = enc.ids(text or "") + end
                 n = len(ids) // 4
                 cut = n % capacity or capacity
                 start, piece = 0, 0
@@ -149,6 +188,8 @@ def _tokenize(path: str, end_id: int, capacity: int):
                     yield flush()
         if rows:
             yield flush()
+        enc.forget()
+        common.trim()
 
     return run
 

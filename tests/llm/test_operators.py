@@ -342,6 +342,20 @@ def test_encoder_is_the_library():
         assert e.ids(t) == e.encode(t), repr(t)
 
 
+def test_encoder_asks_the_library_for_no_plain_word(monkeypatch):
+    """Words of Latin letters go past the library's splitter, and come out as it gives them, in every generation of what is remembered."""
+    monkeypatch.setattr(packing, "CACHE", 50)
+    rng = random.Random(6)
+    e = packing.Encoder(queries.tokenizer_path("byte_bpe_50k.json"))
+    whole, asked = e.encode, []
+    monkeypatch.setattr(e, "encode", lambda t: asked.append(t) or whole(t))
+    for _ in range(300):
+        t = "".join("".join(rng.choice("abcdeéßñÀǅThI") for _ in range(rng.randint(1, 9))) + rng.choice([" ", "\n", ". ", ",\n"]) for _ in range(20)) + "end"
+        assert e.ids(t) == whole(t), repr(t)
+        assert len(e.units) <= 50 + 2 * 41
+    assert not asked
+
+
 def test_token_counts(docs, fixture_rows):
     import sentencepiece
 
