@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import math
 import os
 import random
@@ -503,6 +504,34 @@ def test_tables_are_drawn_as_customers_sit(g):
         assert abs(got.var() - np.var(seen)) < 0.1 + 0.1 * np.var(seen)
 
 
+def test_sweeps_keep_the_joint_distribution(monkeypatch):
+    """Mean tables of many sweeps against the sum over every seating of a small model, weighted by its joint probability."""
+    d1, d0, count = 0.6, 0.5, np.array([[4, 3, 0], [5, 0, 2], [1, 6, 0]])
+    u, w = np.nonzero(count)
+    c, log_s = count[u, w], hpylm.log_stirling(d1, 10)
+    want, total = np.zeros(len(c)), 0.0
+    for t in itertools.product(*(range(1, n + 1) for n in c)):
+        tu, tw = np.bincount(u, t, 3), np.bincount(w, t, 3)
+        p = sum(log_s[n, k] for n, k in zip(c, t, strict=True)) + sum(math.lgamma(hpylm.THETA1 / d1 + k) + k * math.log(d1) for k in tu)
+        p = math.exp(p + sum(math.lgamma(k - d0) for k in tw) - math.lgamma(hpylm.THETA0 + sum(t)))
+        want, total = want + p * np.array(t), total + p
+    monkeypatch.setattr(hpylm, "BURN_IN", 10_000)  # one draw a sweep
+    t, seen = np.ones(len(c), np.int64), np.zeros(len(c))
+    for k in range(8_000):
+        x = hpylm.Totals(np.bincount(w, t, 3), np.bincount(u, t, 3), float(t.sum()), 3)
+        t = hpylm.seat(c, u, w, kernels.mix64(np.arange(len(c)).astype(np.uint64)), np.arange(3).astype(np.uint64), x, k, d1, d0, log_s)
+        seen += t
+    assert np.allclose(seen / 8_000, want / total, rtol=0.04)
+
+
+def test_gammas():
+    key = kernels.mix64(np.arange(100_000).astype(np.uint64))
+    for a in (0.05, 0.4, 1.0, 7.5, 1e6):
+        x = hpylm.gammas(np.full(100_000, a), key, 3)
+        assert abs(x.mean() - a) < 5 * math.sqrt(a / 1e5) and abs(x.var() / a - 1) < 0.15 and (x >= 0).all(), a
+        assert abs(np.mean(np.log(np.maximum(x, 1e-300)) < math.log(a)) - np.mean(np.random.default_rng(1).gamma(a, size=100_000) < a)) < 0.01, a
+
+
 def test_draws_of_many_customers_join_those_of_few():
     """The limit has the mean and the spread of the exact distribution where both can be had."""
     key = kernels.mix64(np.arange(20_000).astype(np.uint64))
