@@ -240,6 +240,25 @@ def test_one_of_each_group_stays(docs, fixture_rows):
     assert want <= got | {None} and got - {None} == want
 
 
+def test_keep_one_crosses_to_python_once_a_stage(docs, monkeypatch):
+    """Two crossings without a shuffle between them hold two Python workers a task, and all of those live on in the executors."""
+    plans = []
+
+    def deepest(node):
+        below = max((deepest(node.children().apply(i)) for i in range(node.children().size())), default=0)
+        return 0 if "Exchange" in node.nodeName() else below + node.nodeName().startswith(("MapIn", "FlatMapGroups", "ArrowEval", "BatchEval"))
+
+    def keep(df):
+        plan = df._jdf.queryExecution().executedPlan()
+        plans.append(deepest(plan.initialPlan() if plan.nodeName().startswith("Adaptive") else plan))
+        return df
+
+    staged = jaccard.common.staged
+    monkeypatch.setattr(jaccard.common, "staged", lambda df, name: staged(keep(df), name))
+    keep(jaccard.keep_one(docs))
+    assert max(plans) == 1
+
+
 def test_exactly_one_row_of_each_group_stays(spark, docs, fixture_rows):
     """Counts of rows, not sets of ids: repeated rows, null ids that are linked, one id in two groups, groups of null ids alone."""
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
