@@ -30,8 +30,9 @@ def latest(snapshots: DataFrame) -> DataFrame:
 def deltas(snapshots: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Each snapshot against the one before: d_<score> (null where either is null) and days (whole days between them).
 
-    Without a key the series is one sequence of a few rows; with a key, one per key."""
-    w = Window.partitionBy(*(key or [])).orderBy("measured_at")
+    Without a key the series is one sequence of a few rows; with a key, one per key. Snapshots of one time follow each other by their scores, so
+    that the result does not depend on how the table lies in its files."""
+    w = Window.partitionBy(*(key or [])).orderBy("measured_at", *(s for s in SCORES if s in snapshots.columns))
     rows = snapshots
     for s in (x for x in SCORES if x in snapshots.columns):
         rows = rows.withColumn(f"d_{s}", F.col(s) - F.lag(s).over(w))

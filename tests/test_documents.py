@@ -5,7 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from scriptorium.operators import body, entropy, fences, fields, graph, rewrite, validate
+from scriptorium.operators import body, entropy, fences, fields, graph, rewrite, snapshots, validate
 from scriptorium.sources import markdown as m
 
 TEMPLATE = """---
@@ -235,3 +235,13 @@ def test_reading_files(spark, tmp_path):
     found = {r["path"] for r in m.read_markdown(spark, str(tmp_path), ["old/**"]).collect()}
     assert {"docs/a.md"} <= found <= {"docs/a.md", ".specify/d.md"}
     assert "docs/e.txt" in {r["path"] for r in m.inventory(spark, str(tmp_path)).collect()}
+
+
+def test_snapshots_of_one_time_have_one_order(spark):
+    rows = [(i % 3, f"2024-01-0{1 + i % 2}", i) for i in range(60)]
+    got = set()
+    for order in (rows, rows[::-1], rows[1::2] + rows[::2]):
+        made = spark.createDataFrame(order, "k int, at string, overall long").withColumn("measured_at", F.col("at").cast("timestamp"))
+        got.add(tuple(sorted((r["k"], r["overall"], r["d_overall"]) for r in snapshots.deltas(made, ["k"]).collect() if r["d_overall"] is not None)))
+    assert len(got) == 1
+    assert {d for _, _, d in got.pop()} == {6, -51, -57}
