@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterable
 from functools import reduce
 
 import pyarrow as pa
@@ -25,18 +25,24 @@ def load_templates(raw: DataFrame) -> dict[str, body.Template]:
     return out
 
 
-def parsed(raw: DataFrame, templates: dict[str, body.Template], path: str = "path", source: str = "text") -> DataFrame:
+#: What the checks of this module read of a document.
+CHECKED = ("path", "template", "fm", "body", "parse_error")
+
+
+def parsed(raw: DataFrame, templates: dict[str, body.Template], path: str = "path", source: str = "text", columns: Iterable[str] | None = None) -> DataFrame:
     """Documents as markdown.parse_documents() gives them, with the issues of their bodies (body_issues) from the same crossing: front matter and body
     are parsed once, whatever is asked of them later."""
     rules = body.usable(templates)
+    names = [n for n in markdown.DOCUMENT.names if columns is None or n in columns]
+    read = {*names, "template"}
 
     def each(p, text):
-        d = markdown.parse_one(p, text)
-        found = [] if d["parse_error"] is not None else body.found_in(d["template"], json.loads(d["fm_json"]), d["body"], rules)
-        yield *(list(d[k].items()) if k == "fm" else d[k] for k in markdown.DOCUMENT.names), found
+        d = markdown.parse_one(p, text, read)
+        found = [] if d["parse_error"] is not None else body.found_in(d["template"], markdown.plain_values(d["_fm"]), d["body"], rules)
+        yield *(d[k] for k in names), found
 
-    schema = markdown.DOCUMENT.append(pa.field("body_issues", pa.list_(crossing.ISSUE)))
-    return crossing.crossed(raw, [F.col(path).cast("string").alias("path"), F.col(source).alias("text")], each, schema, f"{markdown.DOCUMENT_SQL}, body_issues array<{ISSUE_SQL}>")
+    schema = pa.schema([*(markdown.DOCUMENT.field(n) for n in names), pa.field("body_issues", pa.list_(crossing.ISSUE))])
+    return crossing.crossed(raw, [F.col(path).cast("string").alias("path"), F.col(source).alias("text")], each, schema, f"{markdown.document_sql(names)}, body_issues array<{ISSUE_SQL}>")
 
 
 def front_issues(templates: dict[str, body.Template]):

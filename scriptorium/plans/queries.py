@@ -489,8 +489,8 @@ def path_resolution(spark, sf_dir):
 # --- rendered documents --------------------------------------------------------------------------------------------
 
 
-def _docs(spark, sf_dir):
-    return markdown.parse_documents(testbed.order_documents(spark, sf_dir))
+def _raw(spark, sf_dir):
+    return testbed.order_documents(spark, sf_dir)
 
 
 def _templates():
@@ -507,24 +507,24 @@ _ITEMS = "(SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)"
 @query("SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'done' ELSE 'partial' END AS status, round(o_totalprice, 2) AS total, CAST(strftime(o_orderdate, '%Y-%m-%d') AS VARCHAR) AS placed, CASE WHEN o_custkey % 3 <> 0 THEN 'person-' || o_custkey END AS reviewer FROM orders")
 def parse_front_matter(spark, sf_dir):
     get = lambda k: F.try_element_at("fm", F.lit(k))
-    return _docs(spark, sf_dir).select(_key(), get("status")["s"].alias("status"), F.round(get("total")["n"], 2).alias("total"), get("placed")["s"].alias("placed"), get("reviewer")["s"].alias("reviewer"))
+    return markdown.parse_documents(_raw(spark, sf_dir), columns=("path", "fm")).select(_key(), get("status")["s"].alias("status"), F.round(get("total")["n"], 2).alias("total"), get("placed")["s"].alias("placed"), get("reviewer")["s"].alias("reviewer"))
 
 
 @query(f"""WITH d AS (SELECT o_orderkey, n, o_orderstatus = 'F' AND o_orderkey % 5 <> 0 AS out FROM orders LEFT JOIN {_ITEMS} ON l_orderkey = o_orderkey)
   SELECT o_orderkey, '# Order' AS heading_path, 1 AS depth FROM d UNION ALL SELECT o_orderkey, '# Order › ## Summary', 2 FROM d UNION ALL SELECT o_orderkey, '# Order › ## Items', 2 FROM d WHERE n IS NOT NULL
   UNION ALL SELECT o_orderkey, '# Order › ## Parts', 2 FROM d WHERE n IS NOT NULL UNION ALL SELECT o_orderkey, '# Order › ## Outcome', 2 FROM d WHERE out""")
 def section_tree(spark, sf_dir):
-    return body.sections(_docs(spark, sf_dir)).select(_key(), "heading_path", "depth")
+    return body.sections(_raw(spark, sf_dir)).select(_key(), "heading_path", "depth")
 
 
 @query("SELECT l_orderkey AS o_orderkey, 'line' AS header, CAST(l_linenumber AS VARCHAR) AS cell FROM lineitem UNION ALL SELECT l_orderkey, 'quantity', CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) FROM lineitem UNION ALL SELECT l_orderkey, 'flag', l_returnflag FROM lineitem")
 def table_cells(spark, sf_dir):
-    return body.table_cells(body.blocks(_docs(spark, sf_dir))).select(_key(), "header", "cell")
+    return body.table_cells(body.blocks(_raw(spark, sf_dir), ("table",))).select(_key(), "header", "cell")
 
 
 @query("SELECT o_orderkey, 'json' AS lang, '# {}' AS value FROM orders")
 def code_fences(spark, sf_dir):
-    return body.blocks(_docs(spark, sf_dir)).where("kind = 'code'").select(_key(), "lang", "value")
+    return body.blocks(_raw(spark, sf_dir), ("code",)).select(_key(), "lang", "value")
 
 
 _BODY_SQL = f"""
@@ -541,7 +541,7 @@ _BODY_SQL = f"""
 def body_rules(spark, sf_dir):
     """Sections, tables, lists, code and formulas of rendered documents, judged by the template's rules."""
     template = body.load_template(testbed.TEMPLATE_PATH, testbed.TEMPLATE)
-    found = body.body_issues(_docs(spark, sf_dir), {testbed.TEMPLATE_PATH: template})
+    found = body.body_issues(_raw(spark, sf_dir), {testbed.TEMPLATE_PATH: template})
     return found.groupBy(_key(), "error_type").agg(F.count("*").alias("k"))
 
 
@@ -556,7 +556,7 @@ _FRONT_SQL = """SELECT o_orderkey, 'min-violation' AS error_type, 'error' AS lev
   FROM (SELECT o_orderkey, 'error' AS level, k FROM ({_BODY_SQL}) UNION ALL SELECT o_orderkey, level, 1 FROM ({_FRONT_SQL})) GROUP BY 1""")
 def validate_documents(spark, sf_dir):
     """Every check on whole documents: front matter, body, path and links, one result row per document."""
-    docs = validate.parsed(testbed.order_documents(spark, sf_dir), _templates())
+    docs = validate.parsed(_raw(spark, sf_dir), _templates(), columns=validate.CHECKED)
     return validate.checked_results(docs, _templates()).select(_key(), "n_errors", "n_warnings", "valid")
 
 
@@ -571,7 +571,7 @@ def format_documents(spark, sf_dir):
 
 @query("SELECT o_orderkey, 'reviewer' AS field, 'insert_key' AS edit FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 3 = 0")
 def quick_fixes(spark, sf_dir):
-    docs = validate.parsed(testbed.order_documents(spark, sf_dir), _templates())
+    docs = validate.parsed(_raw(spark, sf_dir), _templates(), columns=validate.CHECKED)
     return rewrite.quick_fixes(validate.document_issues(docs, _templates())).select(_key(), "field", "edit")
 
 
@@ -598,12 +598,12 @@ def move_document(spark, sf_dir):
 @query(f"""SELECT o_orderkey, 'order' AS anchor FROM orders UNION ALL SELECT o_orderkey, 'summary' FROM orders
   UNION ALL SELECT l_orderkey, 'items' FROM {_ITEMS} UNION ALL SELECT l_orderkey, 'parts' FROM {_ITEMS} UNION ALL SELECT o_orderkey, 'outcome' FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 5 <> 0""")
 def heading_anchors(spark, sf_dir):
-    return graph.anchors(body.sections(_docs(spark, sf_dir))).select(_key(), "anchor")
+    return graph.anchors(body.sections(_raw(spark, sf_dir))).select(_key(), "anchor")
 
 
 @query("""SELECT o_orderkey, 'order-' || o_orderkey AS id, 'Order ' || o_orderkey AS title, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'done' ELSE 'partial' END AS status FROM orders""")
 def index_entries(spark, sf_dir):
-    return graph.index_entries(_docs(spark, sf_dir)).select(_key(), "id", "title", "status")
+    return graph.index_entries(markdown.parse_documents(_raw(spark, sf_dir), columns=("path", "template", "fm", "body"))).select(_key(), "id", "title", "status")
 
 
 @query("""SELECT l_orderkey, l_linenumber, 'relationships.uses[' || l_linenumber || '].path' AS field FROM lineitem WHERE l_partkey % 3 < 2""")

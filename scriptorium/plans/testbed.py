@@ -93,11 +93,15 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     the single file of the other as a single task); grouping and join then shuffle no more. Lists gain nothing from partial aggregation."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    line = F.format_string("| %d | %.0f | %s |", "l_linenumber", "l_quantity", "l_returnflag")
-    part = F.format_string("- part %d", F.col("l_suppkey") % 10)
-    sorted_text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", c.alias("t")))), lambda x: x["t"]), "\n")
+    shown = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    whole = (F.col("l_quantity") > 0) & (F.col("l_quantity") < 1e15) & (F.col("l_quantity") == F.floor("l_quantity"))  # these need no formatter, which is slow
+    quantity = F.when(whole, F.col("l_quantity").cast("long").cast("string")).otherwise(F.format_string("%.0f", "l_quantity"))
+    line = lambda x: F.concat(F.lit("| "), shown(x["l_linenumber"]), F.lit(" | "), x["quantity"], F.lit(" | "), shown(x["l_returnflag"]), F.lit(" |"))
+    part = lambda x: F.concat(F.lit("- part "), shown(x["l_suppkey"] % 10))
+    found = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", quantity.alias("quantity"))))
     tasks = crossing.tasks_for(items)
-    per = items.repartition(tasks, "l_orderkey").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(sorted_text(line).alias("rows"), sorted_text(part).alias("parts"))
+    per = items.repartition(tasks, "l_orderkey").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(found.alias("items"))
+    per = per.select("o_orderkey", F.array_join(F.transform("items", line), "\n").alias("rows"), F.array_join(F.transform("items", part), "\n").alias("parts"))
     joined = orders.repartition(tasks, "o_orderkey").join(per.hint("shuffle_merge"), "o_orderkey", "left")
     status = F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "F", "done").otherwise("partial")
     reviewer = F.when(F.col("o_custkey") % 3 != 0, F.format_string("reviewer: person-%d\n", "o_custkey")).otherwise("")

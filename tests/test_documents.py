@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scriptorium.operators import body, entropy, fences, fields, graph, rewrite, snapshots, validate
+from scriptorium.plans import queries
 from scriptorium.sources import markdown as m
 
 TEMPLATE = """---
@@ -245,3 +246,41 @@ def test_snapshots_of_one_time_have_one_order(spark):
         got.add(tuple(sorted((r["k"], r["overall"], r["d_overall"]) for r in snapshots.deltas(made, ["k"]).collect() if r["d_overall"] is not None)))
     assert len(got) == 1
     assert {d for _, _, d in got.pop()} == {6, -51, -57}
+
+
+@pytest.mark.parametrize("name", ["section_tree", "heading_anchors", "table_cells", "code_fences", "body_rules", "parse_front_matter", "index_entries", "validate_documents", "quick_fixes"])
+def test_one_crossing_a_document(spark, sf_dir, name):
+    plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_sections_need_no_front_matter(spark):
+    raw = spark.createDataFrame([("a.md", "---\nx: [\n---\n# A\n## B\n")], "path string, text string")
+    got = [tuple(r) for r in body.sections(raw).collect()]
+    assert got == [tuple(r) for r in body.sections(m.parse_documents(raw)).collect()] and len(got) == 2
+    assert m.parse_documents(raw, columns=("path", "body")).columns == ["path", "body"]
+
+
+PLAIN = ["x", "Order 5", "12", "0", "007", "1.50", "1e3", "0x1F", "2024-01-02", "2024-13-02", "true", "no", "Null", "nan", "12:30", "1-URGENT", "463500.23", "a (b) - c", "1_000", "12345678901234567890", "0.00001", "1e17", "y"]
+
+
+@given(st.dictionaries(st.sampled_from(["title", "a", "b-c", "true", "Null", "_k", "id"]), st.sampled_from(PLAIN), min_size=1))
+def test_plain_front_matter_reads_and_writes_as_the_library_does(entries):
+    import yaml
+
+    source = "\n".join(f"{k}: {v}" for k, v in entries.items())
+    try:
+        want = yaml.load(source, Loader=m.yaml_loader())
+    except ValueError:
+        with pytest.raises(ValueError):
+            m.load_yaml(source)
+        return
+    assert repr(m.load_yaml(source)) == repr(want)
+
+
+def test_long_blank_runs_in_lists_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    assert len(m.blocks_of("- a\n" + "\n" * 40_000 + "  b\n")) == 1
+    assert time.perf_counter() - began < 5
