@@ -170,6 +170,30 @@ def test_jaccard_in_crowded_columns(docs, fixture_rows, monkeypatch, crowd):
     assert got == brute_similar(fixture_rows)
 
 
+@pytest.mark.parametrize("cut", [0, 1, 25])
+@pytest.mark.parametrize("few", [1, 3, 24, 1000])
+def test_overlaps_counted_and_multiplied(monkeypatch, few, cut):
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "PAIRS", 50)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(np.concatenate((rng.integers(0, 400, 60), rng.integers(0, 20, 9)))).astype(np.uint64) for _ in range(60)]
+    got = jaccard.overlaps(list(sets), cut)
+    want = np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets], np.float32)
+    off = ~np.eye(60, dtype=bool)
+    assert (got == want[:cut, cut:]).all() if cut else (got[off] == want[off]).all()
+
+
+def test_rare_columns_are_not_multiplied(monkeypatch):
+    """100,000 columns of two rows: as products of 1,024 columns at once they took a hundred products of all rows."""
+    rows = np.random.default_rng(5).permuted(np.repeat(np.arange(2000), 100))
+    keys = np.repeat(np.arange(100_000, dtype=np.uint64), 2)
+    made = []
+    zeros = np.zeros
+    monkeypatch.setattr(np, "zeros", lambda shape, *a, **k: made.append(math.prod(shape) if isinstance(shape, tuple) else shape) or zeros(shape, *a, **k))
+    over = jaccard.overlaps([np.unique(keys[rows == r]) for r in range(2000)], 0)
+    assert over.sum() > 0 and sum(made) <= 2 * over.size
+
+
 def test_jaccard_in_small_blocks_and_rounds(docs, fixture_rows, monkeypatch):
     """The same where blocks hold a few entries, copies of a class lie in several of them, and squares are sent in rounds."""
     monkeypatch.setattr(jaccard, "BLOCK", 50)
